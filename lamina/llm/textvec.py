@@ -26,7 +26,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def byte_table(seed: int) -> np.ndarray:
     """256 fixed pseudo-random odd 64-bit values."""
-    return mix(np.arange(1, 257, dtype=_U) + _U(seed * 1_000_003)) | _U(1)
+    return mix(np.arange(1, 257, dtype=_U) + _U(seed * 1_000_003 % (1 << 64))) | _U(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
