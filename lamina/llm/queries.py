@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import lines, media, mixing, neardup, prefix_bpe, quality, spans, token_counts
+from lamina.llm import licenses, lines, media, mixing, neardup, prefix_bpe, quality, secrets, spans, token_counts
 from lamina.llm.shared import documents
 
 
@@ -15,6 +15,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -48,6 +52,10 @@ def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_bpe.encode_decode(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), digests=True)
 
 
+def op9_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
