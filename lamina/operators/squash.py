@@ -46,7 +46,11 @@ def marker_times(rows: DataFrame) -> DataFrame:
 def squash(entries: DataFrame) -> DataFrame:
     """One row for each path ever written in an image, its last entry, with `alive`."""
     rows = decoded(entries)
-    last, markers = last_writes(rows), marker_times(rows)
+    return apply_markers(last_writes(rows), marker_times(rows))
+
+
+def apply_markers(last: DataFrame, markers: DataFrame) -> DataFrame:
+    """Last writes with `alive`: later than every marker that hits the path."""
     inner = markers.filter("victim <> ''")
     steps = last.select("image_id", "path", F.posexplode(paths.self_and_ancestors(F.col("path"))).alias("_up", "victim"))
     hits = steps.join(inner, ["image_id", "victim"]).groupBy("image_id", "path").agg(F.max(F.when(F.col("_up") == 0, F.col("removed")).otherwise(F.greatest("removed", "cleared"))).alias("_kill"))
