@@ -4,8 +4,9 @@ A classifier trained on a labelled table gives every document its posteriors ove
 r >= 0 are fitted by distributed projected-gradient least squares so that the expected tokens of
 each domain, the sum of rate * tokens * posterior, meet the targets. Every rate starts at 1 and is
 changed by p . c at each step, the direction of the gradient of the residual in the norm of the
-inverse Gram matrix of the posteriors; rates below 0 are set to 0. With the matrix of the rows whose
-rate isn't 0, few steps do; should the residual grow, the step is taken back and the matrix of all
+inverse Gram matrix of the posteriors; rates below 0 are set to 0, and those of documents
+whose likeliest domain has a least rate (FLOORS) to that, so that mixing loses no good document. With
+the matrix of the rows above their least rate, few steps do; should the residual grow, the step is taken back and the matrix of all
 rows is used, for which a step of 1 never makes it grow, until it stops falling.
 A step is one sum over all rows, of as many numbers as there are domains, so the driver holds only
 these, and rates are a chain of expressions that any task can evaluate. Sums are in whole numbers:
@@ -35,7 +36,9 @@ FIT_STEPS, PENALTY = 120, 2.0
 MAX_STEPS, TOLERANCE = 25, 1e-4
 #: Domains and the share of tokens each is to have.
 TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
-#: Without a total: so much more than what keeps every domain that gains share at a rate of 1.
+#: Least rates of documents by their likeliest domain: none of these is lost.
+FLOORS = {"good": 1.0}
+#: Without a total: so much more than what keeps every domain with a least rate at a rate of 1.
 HEADROOM = 1.1
 #: Posteriors and rates are whole numbers of these parts.
 UNIT = 1_000_000
@@ -126,34 +129,51 @@ def with_posteriors(docs: DataFrame, keep: list[str], model: tuple[np.ndarray, n
     return source.mapInArrow(run, schema + "_tokens long, " + ", ".join(f"{p} long" for p in parts))
 
 
-def _rate(changes: list[np.ndarray]) -> Column:
+def _floor(targets: dict[str, float], floors: dict[str, float]) -> Column:
+    """The least rate of a row; of equal posteriors the first counts."""
+    p = [F.col(f"_p{k}") for k in range(len(targets))]
+    out = F.lit(0.0)
+    for k, d in enumerate(targets):
+        if d in floors:
+            likeliest = F.lit(True)
+            for j in range(len(targets)):
+                if j != k:
+                    likeliest = likeliest & ((p[k] > p[j]) if j < k else (p[k] >= p[j]))
+            out = F.when(likeliest, F.lit(float(floors[d]))).otherwise(out)
+    return out
+
+
+def _rate(changes: list[np.ndarray], floor: Column | None = None) -> Column:
     """The rate in parts of UNIT after these steps."""
-    r = F.lit(1.0)
+    r, floor = F.lit(1.0), F.lit(0.0) if floor is None else floor
     for c in changes:
         for k, v in enumerate(c):
             r = r + F.col(f"_p{k}") * F.lit(float(v) / UNIT)
-        r = F.greatest(r, F.lit(0.0))
+        r = F.greatest(r, floor)
     return F.round(r * UNIT).cast("long")
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, total_tokens: int | None = None) -> tuple[list[np.ndarray], dict]:
+def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, total_tokens: int | None = None, floors: dict[str, float] | None = None) -> tuple[list[np.ndarray], dict]:
     """The steps' changes, and a report with current, target and fitted tokens of each domain.
     rows: _tokens and posteriors, a table that can be read repeatedly."""
     n = len(targets)
     product = lambda x, y: F.coalesce(F.sum(x.cast("decimal(20,0)") * y.cast("decimal(10,0)")), F.lit(0))  # noqa: E731  exact
     p = [F.col(f"_p{k}") for k in range(n)]
+    floors = floors or {}
+    floor = _floor(targets, floors)
 
     def sums(changes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of each domain, and the Gram matrix of the rows whose rate isn't 0."""
-        r = rows.select("_tokens", *p, _rate(changes).alias("_rate"))
-        alive = F.when(F.col("_rate") > 0, F.col("_tokens"))
+        """Expected tokens of each domain, and the Gram matrix of the rows above their least rate
+        (at the start, of all)."""
+        r = rows.select("_tokens", *p, _rate(changes, floor).alias("_rate"), floor.alias("_least"))
+        alive = F.when(F.col("_rate") > F.col("_least") * UNIT, F.col("_tokens")) if changes else F.col("_tokens")
         row = [float(v) for v in r.agg(*[product(F.col("_tokens") * F.col("_rate"), v) for v in p], *[product(alive * p[i], p[j]) for i in range(n) for j in range(n)]).first()]
         return np.array(row[:n]) / UNIT**2, np.array(row[n:]).reshape(n, n) / UNIT**2
 
     current, whole = sums([])
     share = np.array(list(targets.values())) / sum(targets.values())
     if total_tokens is None:
-        gains = share * current.sum() >= current
+        gains = np.array([d in floors for d in targets]) if floors else share * current.sum() >= current
         total_tokens = HEADROOM * max([*(current / share)[gains & (share > 0)], 0.0])
     target = share * total_tokens
     inverse = lambda g: np.linalg.pinv(g, rcond=1e-9, hermitian=True)
@@ -181,21 +201,21 @@ def _labelled(labels: DataFrame, id_column: str) -> DataFrame:
     return labels.select(id_column, domain_of().alias("domain"))
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_column: str = "doc_id", text_column: str = "text", floors: dict[str, float] = FLOORS) -> DataFrame:
     """Each row's id, n_tokens, posterior of each domain and rate (in millionths) and n_copies."""
     model = fit(docs, _labelled(labels, id_column), len(targets), id_column, text_column)
     rows = written(with_posteriors(docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_txt")), ["_id"], model, "_txt"), "mixing-rows")
-    changes, _ = fit_rates(rows, targets)
-    rate = _rate(changes)
+    changes, _ = fit_rates(rows, targets, floors=floors)
+    rate = _rate(changes, _floor(targets, floors))
     return rows.select(F.col("_id").alias(id_column), F.col("_tokens").alias("n_tokens"), *[F.col(f"_p{k}").alias(f"p_{d}") for k, d in enumerate(targets)], rate.alias("rate"), copies(rate, F.col("_id"), F.col("_tokens")).alias("n_copies"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_column: str = "doc_id", text_column: str = "text", floors: dict[str, float] = FLOORS) -> DataFrame:
     """The documents, each as often as n_copies of `rates` says, with their columns. Posteriors are
     computed a second time rather than joined, so texts don't move."""
     model = fit(docs, _labelled(labels, id_column), len(targets), id_column, text_column)
     rows = written(with_posteriors(docs.select(F.col(text_column).alias("_txt")), [], model, "_txt"), "mixing-rows")
-    changes, _ = fit_rates(rows, targets)
+    changes, _ = fit_rates(rows, targets, floors=floors)
     scored = with_posteriors(docs.withColumn("_txt", F.col(text_column)), docs.columns, model, "_txt")
-    often = scored.withColumn("_copies", copies(_rate(changes), F.col(id_column), F.col("_tokens"))).filter("_copies > 0")
+    often = scored.withColumn("_copies", copies(_rate(changes, _floor(targets, floors)), F.col(id_column), F.col("_tokens"))).filter("_copies > 0")
     return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
