@@ -256,6 +256,7 @@ def test_mixing_meets_targets(spark, odd, none):
     rate = np.array([x["rate"] for x in got]) / 1e6
     fitted = (t * rate) @ p
     assert np.allclose(fitted / fitted.sum(), [0.90, 0.07, 0.03], atol=2e-3) and (rate >= 0).all()
+    assert all(x["n_copies"] >= 1 for x in got if x["p_good"] >= max(x["p_low"], x["p_toxic"]))
     assert abs(sum(x["n_copies"] * x["n_tokens"] for x in got) - fitted.sum()) < 0.15 * fitted.sum()
     assert mixing.mixed(docs, table).count() == sum(x["n_copies"] for x in got)
     assert mixing.rates(none, table).count() == 0
