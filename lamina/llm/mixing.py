@@ -1,16 +1,18 @@
 """Operator 6: mixing to target weights with soft membership.
 
-A classifier trained on a labelled table gives every document its posteriors over domains. Rates
-r >= 0 are fitted by distributed projected-gradient least squares so that the expected tokens of
-each domain, the sum of rate * tokens * posterior, meet the targets. Every rate starts at 1 and is
-changed by p . c at each step, the direction of the gradient of the residual in the norm of the
-inverse Gram matrix of the posteriors; rates below 0 are set to 0, and those of documents
-whose likeliest domain has a least rate (FLOORS) to that, so that mixing loses no good document. With
-the matrix of the rows above their least rate, few steps do; should the residual grow, the step is taken back and the matrix of all
-rows is used, for which a step of 1 never makes it grow, until it stops falling.
-A step is one sum over all rows, of as many numbers as there are domains, so the driver holds only
-these, and rates are a chain of expressions that any task can evaluate. Sums are in whole numbers:
-neither order nor partitioning changes a rate.
+A classifier trained on a labelled table gives every document its posteriors over domains. Rates r
+are fitted by distributed projected least squares so that the expected tokens of each domain, the
+sum of rate * tokens * posterior, meet the targets. The objective is the sum of the squared misses,
+each in parts of its target, and RIDGE times the mean square of the changes r - 1, which picks the
+mildest of equal rates and keeps a target that can't be met from piling up copies of a few
+documents. Its optimum has the form r = max(least, 1 + p . c) with one number c for each domain; the
+least rate is 0, and that of documents whose likeliest domain has one (FLOORS) is that, so that
+mixing loses no good document. The dual of the objective is convex in c: each step goes down its
+gradient in the norm of the inverse Gram matrix of the rows above their least rate, is halved until
+the dual falls, and steps go on until the gradient vanishes. A step is one sum over all rows, of as
+many numbers as there are domains and pairs of them, so the driver holds only these, and rates are
+an expression that any task can evaluate. Sums are in whole numbers: neither order nor partitioning
+changes a rate.
 
 The classifier is multinomial logistic regression on the words that occur in a text, hashed to
 FEATURES columns. It is fitted on at most MAX_LABELLED labelled rows, those with the least hashes
@@ -33,7 +35,9 @@ from lamina.llm.shared import ship, written
 
 FEATURES, MAX_LABELLED = 1 << 16, 5000
 FIT_STEPS, PENALTY = 120, 2.0
-MAX_STEPS, TOLERANCE = 25, 1e-4
+#: Weight of the changes of rates, gradient (in parts of all tokens) that ends the fit, and a bound
+#: of its steps, which the convex dual doesn't reach.
+RIDGE, TOLERANCE, MAX_STEPS = 1e-4, 1e-6, 200
 #: Domains and the share of tokens each is to have.
 TARGETS = {"good": 0.90, "low": 0.07, "toxic": 0.03}
 #: Least rates of documents by their likeliest domain: none of these is lost.
@@ -144,7 +148,7 @@ def _floor(targets: dict[str, float], floors: dict[str, float]) -> Column:
 
 
 def _rate(changes: list[np.ndarray], floor: Column | None = None) -> Column:
-    """The rate in parts of UNIT after these steps."""
+    """The rate in parts of UNIT after these changes."""
     r, floor = F.lit(1.0), F.lit(0.0) if floor is None else floor
     for c in changes:
         for k, v in enumerate(c):
@@ -154,7 +158,7 @@ def _rate(changes: list[np.ndarray], floor: Column | None = None) -> Column:
 
 
 def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, total_tokens: int | None = None, floors: dict[str, float] | None = None) -> tuple[list[np.ndarray], dict]:
-    """The steps' changes, and a report with current, target and fitted tokens of each domain.
+    """The change of rates (none, or one number for each domain), and a report with current, target and fitted tokens of each domain.
     rows: _tokens and posteriors, a table that can be read repeatedly."""
     n = len(targets)
     product = lambda x, y: F.coalesce(F.sum(x.cast("decimal(20,0)") * y.cast("decimal(10,0)")), F.lit(0))  # noqa: E731  exact
@@ -162,34 +166,42 @@ def fit_rates(rows: DataFrame, targets: dict[str, float] = TARGETS, total_tokens
     floors = floors or {}
     floor = _floor(targets, floors)
 
-    def sums(changes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Expected tokens of each domain, and the Gram matrix of the rows above their least rate
-        (at the start, of all)."""
+    def sums(changes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected tokens of each domain, the Gram matrix of the rows above their least rate (at
+        the start, of all) and the tokens times the square of the rates."""
         r = rows.select("_tokens", *p, _rate(changes, floor).alias("_rate"), floor.alias("_least"))
         alive = F.when(F.col("_rate") > F.col("_least") * UNIT, F.col("_tokens")) if changes else F.col("_tokens")
-        row = [float(v) for v in r.agg(*[product(F.col("_tokens") * F.col("_rate"), v) for v in p], *[product(alive * p[i], p[j]) for i in range(n) for j in range(n)]).first()]
-        return np.array(row[:n]) / UNIT**2, np.array(row[n:]).reshape(n, n) / UNIT**2
+        square = F.coalesce(F.sum((F.col("_tokens") * F.col("_rate")).cast("decimal(20,0)") * F.col("_rate").cast("decimal(18,0)")), F.lit(0))
+        row = [float(v) for v in r.agg(*[product(F.col("_tokens") * F.col("_rate"), v) for v in p], *[product(alive * p[i], p[j]) for i in range(n) for j in range(n)], square).first()]
+        return np.array(row[:n]) / UNIT**2, np.array(row[n:-1]).reshape(n, n) / UNIT**2, row[-1] / UNIT**2
 
-    current, whole = sums([])
+    current, gram, square = sums([])
     share = np.array(list(targets.values())) / sum(targets.values())
     if total_tokens is None:
         gains = np.array([d in floors for d in targets]) if floors else share * current.sum() >= current
         total_tokens = HEADROOM * max([*(current / share)[gains & (share > 0)], 0.0])
     target = share * total_tokens
-    inverse = lambda g: np.linalg.pinv(g, rcond=1e-9, hermitian=True)
-    changes, fitted, gram, bold, left = [], current, whole, True, MAX_STEPS
-    miss = lambda f: np.abs(f - target).max()
-    while left and miss(fitted) > TOLERANCE * max(1.0, target.sum()):
+    ridge = RIDGE * np.square(np.maximum(target, 1e-3 * target.sum())) / max(1.0, target.sum())
+    gradient = lambda c, f: f - target + ridge * c
+    dual = lambda c, f, q: c @ f - q / 2 + f.sum() - target @ c + ridge @ (c * c) / 2  # noqa: E731  without a constant
+    near = TOLERANCE * max(1.0, target.sum())
+    c, fitted, steps = np.zeros(n), current, 0
+    slope, height, part, left = gradient(c, fitted), dual(c, fitted, square), 1.0, MAX_STEPS
+    direction = np.linalg.lstsq(gram + np.diag(ridge), -slope, rcond=None)[0]
+    while left and np.abs(slope).max() > near:
         left -= 1
-        tried = [*changes, inverse(gram if bold else whole) @ (target - fitted)]
-        new, new_gram = sums(tried)
-        if bold and miss(new) >= miss(fitted):
-            bold = False  # rates at 0 come back: from here on by the safe step
-            continue
-        if not bold and miss(new) > 0.995 * miss(fitted):
-            break
-        changes, fitted, gram = tried, new, new_gram
-    return changes, {"domains": list(targets), "current": current, "target": target, "fitted": fitted, "steps": len(changes)}
+        tried = c + part * direction
+        new, new_gram, new_square = sums([tried])
+        new_slope, new_height = gradient(tried, new), dual(tried, new, new_square)
+        if new_height <= height + 1e-4 * part * (slope @ direction) or np.abs(new_slope).max() <= np.abs(slope).max() / 2:
+            c, fitted, slope, height, part, steps = tried, new, new_slope, new_height, 1.0, steps + 1
+            direction = np.linalg.lstsq(new_gram + np.diag(ridge), -slope, rcond=None)[0]
+        elif part < 1e-6:
+            break  # rates are in parts of UNIT: nothing is left to gain
+        else:
+            part /= 2
+    changes = [c] if steps else []
+    return changes, {"domains": list(targets), "current": current, "target": target, "fitted": fitted, "steps": steps}
 
 
 def copies(rate: Column, *key: Column) -> Column:

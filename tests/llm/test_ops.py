@@ -368,3 +368,16 @@ def test_blocks_cover_all_texts(monkeypatch):
         for x, y, k in zip(s, e, d, strict=True):
             got.setdefault(int(k) + b.first, []).append(b.data[x:y].tobytes().decode())
     assert [got.get(k, []) for k in range(len(texts))] == [words_of(t) for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rates_reach_targets_of_a_scarce_domain(spark, seed):
+    """Hardly a document of one domain: rates still change until the targets are met."""
+    r = np.random.default_rng(seed)
+    p = np.concatenate([r.dirichlet([30, 0.6, 0.3], 500), r.dirichlet([1, 30, 1], 1), r.dirichlet([5, 0.1, 6], 20)])
+    p = np.floor(p * 1e6).astype(int)
+    p[:, 0] += 1_000_000 - p.sum(axis=1)
+    t = r.integers(50, 500, len(p))
+    rows = spark.createDataFrame([(int(a), *map(int, b)) for a, b in zip(t, p, strict=True)], "_tokens long, _p0 long, _p1 long, _p2 long")
+    changes, report = mixing.fit_rates(rows, {"good": 0.90, "low": 0.07, "toxic": 0.03}, floors={"good": 1.0})
+    assert changes and np.abs(report["fitted"] / report["target"] - 1).max() < 0.02
