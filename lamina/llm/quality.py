@@ -6,9 +6,11 @@ finds the centre and spread of the densest part of the vectors, and a text is re
 squared Mahalanobis distance exceeds a chi-square quantile.
 
 The estimate is deterministic: it starts from medians and quartile ranges and concentrates step by
-step on the share `SUPPORT` of the rows with the least distances. A step is one aggregation by
-group and distance bin over all rows, in whole numbers, so neither order nor partitioning changes
-a result, and a group of any size is only ever summed in parts.
+step on the share `SUPPORT` of the rows with the least distances, until the determinant of the
+group's spread stops falling. Half of a group is the usual support: just under half of it may be
+junk. A step is one aggregation by group and distance bin over all rows of the groups that still
+move, in whole numbers, so neither order nor partitioning changes a result, and a group of any size
+is only ever summed in parts.
 
 Null texts have no words and fail; null languages and sources are groups of their own. Groups under
 `MIN_ROWS` rows are pooled by language, then over all; a pool that is still smaller rejects nothing.
@@ -28,8 +30,9 @@ from lamina.llm import textvec as tv
 from lamina.llm.shared import row_key, ship, written
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
-#: Rows a group needs, share of rows in the dense part, concentration steps, upper tail.
-MIN_ROWS, SUPPORT, STEPS, TAIL = 60, 0.75, 3, 1e-6
+#: Rows a group needs, share of rows in the dense part, least fall of the logarithm of the
+#: determinant that counts, upper tail.
+MIN_ROWS, SUPPORT, FALL, TAIL = 60, 0.5, 1e-6, 1e-6
 #: Whole-number units per unit of a statistic, and least standard deviations of the statistics:
 #: log words, log characters per word, roots of the shares of symbols, repeated lines and words.
 UNIT = 1024
@@ -127,7 +130,7 @@ def _consistency() -> float:
 
 
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-_STATE = "_g long, " + ", ".join(f"_m{i} double" for i in range(DIM)) + ", " + ", ".join(f"_p{i}{j} double" for i, j in _PAIRS)
+_STATE = "_g long, " + ", ".join(f"_m{i} double" for i in range(DIM)) + ", " + ", ".join(f"_p{i}{j} double" for i, j in _PAIRS) + ", _det double"
 
 
 def _start(vectors: DataFrame) -> DataFrame:
@@ -143,7 +146,7 @@ def _start(vectors: DataFrame) -> DataFrame:
     for i, j in _PAIRS:
         spread = F.greatest((F.col(f"_q2_{i}") - F.col(f"_q0_{i}")) * (width[i] / UNIT / 1.349), F.lit(FLOOR[i]))
         columns.append((F.lit(1.0) / (spread * spread) if i == j else F.lit(0.0)).alias(f"_p{i}{j}"))
-    return wide.select(*columns)
+    return wide.select(*columns, F.lit(float("inf")).alias("_det"))  # the spread of no part of the rows
 
 
 def _distance() -> Column:
@@ -155,8 +158,8 @@ def _distance() -> Column:
 
 
 def _concentrate(vectors: DataFrame, state: DataFrame) -> DataFrame:
-    """Mean and inverse covariance of the share SUPPORT of each group that lies nearest to the
-    state before. Rows are summed by group and distance bin; whole bins enter."""
+    """Mean, inverse covariance and its determinant (a logarithm) of the share SUPPORT of each group
+    that lies nearest to the state before. Rows are summed by group and distance bin; whole bins enter."""
     big = lambda c: F.sum(c.cast("decimal(20,0)"))
     x = [F.col(f"_x{i}") for i in range(DIM)]
     binned = vectors.join(state, "_g").withColumn("_b", F.ceil(F.log2(F.greatest(_distance(), F.lit(2.0**-6))) * _BINS).cast("long"))
@@ -176,13 +179,32 @@ def _concentrate(vectors: DataFrame, state: DataFrame) -> DataFrame:
                 cov = np.zeros((DIM, DIM))
                 cov[upper] = t[1 + DIM :, k] / n[k] / UNIT**2
                 cov = cov + np.triu(cov, 1).T - np.outer(mean[:, k], mean[:, k])
-                rows.append(np.concatenate([mean[:, k], np.linalg.inv(cov * factor + np.diag(np.square(FLOOR)))[upper]]))
-            values = np.array(rows).reshape(-1, DIM + len(_PAIRS)).T
-            yield pa.RecordBatch.from_arrays([batch.column("_g"), *[pa.array(v, pa.float64()) for v in values]], names=["_g", *[f"_m{i}" for i in range(DIM)], *[f"_p{i}{j}" for i, j in _PAIRS]])
+                spread = cov * factor + np.diag(np.square(FLOOR))
+                rows.append(np.concatenate([mean[:, k], np.linalg.inv(spread)[upper], np.linalg.slogdet(spread)[1:]]))
+            values = np.array(rows).reshape(-1, DIM + len(_PAIRS) + 1).T
+            yield pa.RecordBatch.from_arrays([batch.column("_g"), *[pa.array(v, pa.float64()) for v in values]], names=["_g", *[f"_m{i}" for i in range(DIM)], *[f"_p{i}{j}" for i, j in _PAIRS], "_det"])
 
     return dense.mapInArrow(solve, _STATE)
 
 
+def _settled(vectors: DataFrame, state: DataFrame) -> DataFrame:
+    """The state of each group at which its determinant no longer falls. Every step lowers that of
+    each group that stays, so no state comes twice and the loop ends; settled groups aren't read."""
+    done = []
+    while True:
+        new = _concentrate(vectors, state).select("_g", *[F.col(c).alias(f"new{c}") for c in state.columns[1:]])
+        both = written(state.join(new, "_g"), "quality-step")
+        moves = F.col("new_det") < F.col("_det") - F.lit(FALL)
+        done.append(both.filter(~moves).select(*state.columns))
+        state = both.filter(moves).select("_g", *[F.col(f"new{c}").alias(c) for c in state.columns[1:]])
+        if state.isEmpty():
+            break
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return written(out, "quality-settled")
+
+
 def _group(*columns: str) -> Column:
     return F.xxhash64(*[v for c in columns for v in (F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit("")))])
 
@@ -200,10 +222,9 @@ def verdicts(counted: DataFrame, lang: str = "lang", source: str = "source") ->
     pools = written(pools.join(enough, "_g").select("_g2", "_g", "_enough"), "quality-pools")
     vectors = good.join(pools.filter("_enough"), "_g2").select("_g", *[f"_x{i}" for i in range(DIM)])
     state = written(_start(vectors), "quality-start")
-    for _ in range(STEPS):
-        state = written(_concentrate(vectors, state), "quality-step")
+    state = _settled(vectors, state)
     most = chi2_quantile(1 - TAIL, DIM)
-    of_group = pools.join(state, "_g", "left").select("_g2", "_enough", *state.columns[1:])
+    of_group = pools.join(state, "_g", "left").select("_g2", "_enough", *state.columns[1:-1])
     out = rows.join(of_group, "_g2", "left").withColumn("distance", F.when(~F.col("base_failed") & F.col("_enough"), _distance()))
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= F.lit(most), F.lit(True)))
     return out.select(*counted.columns, "base_failed", "distance", "kept")

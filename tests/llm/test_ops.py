@@ -381,3 +381,13 @@ def test_rates_reach_targets_of_a_scarce_domain(spark, seed):
     rows = spark.createDataFrame([(int(a), *map(int, b)) for a, b in zip(t, p, strict=True)], "_tokens long, _p0 long, _p1 long, _p2 long")
     changes, report = mixing.fit_rates(rows, {"good": 0.90, "low": 0.07, "toxic": 0.03}, floors={"good": 1.0})
     assert changes and np.abs(report["fitted"] / report["target"] - 1).max() < 0.02
+
+
+@pytest.mark.parametrize("percent", [30, 40, 45])
+def test_quality_rejects_the_junk_of_a_junk_heavy_group(spark, percent):
+    r = random.Random(percent)
+    rows = [(k, _prose(r, r.randint(60, 200)), "en", "s", 1) for k in range(300)]
+    junk = 300 * percent // (100 - percent)
+    rows += [(1000 + k, " ".join(w + "%%%" for w in _prose(r, r.randint(50, 90)).split()), "en", "s", 1) for k in range(junk)]
+    got = {x["doc_id"]: x for x in quality.verdicts(quality.text_counts(spark.createDataFrame(rows, SCHEMA), ["doc_id", "lang", "source"])).collect()}
+    assert all(got[k]["kept"] for k in range(300)) and not any(got[1000 + k]["kept"] for k in range(junk))
