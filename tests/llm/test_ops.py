@@ -391,3 +391,30 @@ def test_quality_rejects_the_junk_of_a_junk_heavy_group(spark, percent):
     rows += [(1000 + k, " ".join(w + "%%%" for w in _prose(r, r.randint(50, 90)).split()), "en", "s", 1) for k in range(junk)]
     got = {x["doc_id"]: x for x in quality.verdicts(quality.text_counts(spark.createDataFrame(rows, SCHEMA), ["doc_id", "lang", "source"])).collect()}
     assert all(got[k]["kept"] for k in range(300)) and not any(got[1000 + k]["kept"] for k in range(junk))
+
+
+def test_near_duplicates_with_looped_phrases(spark):
+    """Sets at 0.8 or more, of which one text repeats what the other holds once."""
+    r = random.Random(21)
+    rows = []
+    for k in range(150):
+        own = [f"w{k}x{i}" for i in range(200)]
+        other = own[:184] + [f"v{k}x{i}" for i in range(16)]
+        loop = own[20:30] if k % 3 else own[20:70]
+        rows += [(2 * k, " ".join(own[:20] + loop * (1000 if k % 3 else 200) + own[20:])), (2 * k + 1, " ".join(other))]
+    r.shuffle(rows)
+    sets = {k: _set(t) for k, t in rows}
+    want = {k: (k - k % 2 if len(sets[k] & sets[k ^ 1]) >= 0.8 * len(sets[k] | sets[k ^ 1]) else k) for k in sets}
+    assert sum(v != k for k, v in want.items()) == 150
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_bands_of_equal_sets_do_not_depend_on_repeats():
+    a = "one two three four five six seven eight nine"
+    keys = [neardup.describe(b)[2:4] for b in tv_blocks([a, " ".join([a, a, a, a]), " ".join([a] * 40)])][0]
+    assert (keys[0][1] == keys[0][2]).all() and (keys[1][1] != keys[1][2]).any() and (keys[0][0] == keys[1][0]).all()
+
+
+def tv_blocks(texts):
+    return textvec.blocks(pa.array(texts))
