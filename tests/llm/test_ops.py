@@ -418,3 +418,11 @@ def test_bands_of_equal_sets_do_not_depend_on_repeats():
 
 def tv_blocks(texts):
     return textvec.blocks(pa.array(texts))
+
+
+def test_short_and_embedded_licenses(spark):
+    short = {"All rights reserved.": "Proprietary", "Copyright 2021 Sample Inc. All rights reserved.": "Proprietary", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "License: GPL-3.0": "GPL", "BSD 3-Clause License": "BSD", "MIT License": "MIT", "The river rose in the night. Licensed under CC BY 4.0. We walked along the shore for hours.": "CC-BY"}
+    others = ["He renewed his driver's license at the office last week.", "The band owns the copyright of three songs from that year."]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate([*short, *others])]
+    got = sorted((x["doc_id"], x["family"], x["confirmed"]) for x in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [*[(k, f, True) for k, f in enumerate(short.values())], (7, "unknown", False), (8, "unknown", False)]
