@@ -1,4 +1,5 @@
-"""What the operators share: the folder for written tables, shipping of this package, row keys."""
+"""What the operators share: the folder for written tables, shipping of this package, names of
+columns, row keys, and passes over texts."""
 
 from __future__ import annotations
 
@@ -8,8 +9,10 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,8 +75,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors and bounds what Arrow sends them at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    """Makes this package importable on the executors, and bounds what Arrow sends them at a time
+    where the session has no bound of its own (Spark reads it when a query runs, so it stays set)."""
+    bound = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(bound):
+        spark.conf.set(bound, "500")
     sc = spark.sparkContext
     if getattr(sc, "_lamina_shipped", False):
         return
@@ -88,16 +94,59 @@ def ship(spark: SparkSession) -> None:
     sc._lamina_shipped = True
 
 
+def named(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """What numbered(docs) calls the column of this name."""
+    names = docs.columns
+    return f"c{names.index(name) if name in names else [x.lower() for x in names].index(name.lower())}"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with their columns called c0, c1, ...: no name that an operator adds, or that has a
+    dot, gets in the way. `.toDF(*docs.columns)` gives the names back."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def without(docs: DataFrame, names: list[str]) -> DataFrame:
+    """The rows without columns that have the names of results: those replace them."""
+    taken = {x.lower() for x in names}
+    return docs.select(*[named(c) for c in docs.columns if c.lower() not in taken])
 
 
 def row_key(*columns: str) -> list[Column]:
-    """Two 64-bit hashes that name a row by its values (nulls included). Rows with equal values
-    share a key, so they must get equal results."""
-    cols = [F.col(c) for c in columns]
+    """Two 64-bit hashes that name a row by its values; that a value is null is hashed too, as a
+    null alone would leave a hash as it is. Rows with equal values share a key, so they must get
+    equal results."""
+    cols = [v for c in columns for v in (named(c).isNull(), named(c))]
     return [F.xxhash64(F.lit(11), *cols).alias("_r1"), F.xxhash64(F.lit(29), *reversed(cols), F.lit(3)).alias("_r2")]
 
 
+def over_texts(docs: DataFrame, keep: list[str], text_column: str, more: str, of_texts: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """The columns `keep` and those of the schema `more`, which of_texts makes from the texts of a
+    batch. Texts cross over to Python once, whether they are kept or not."""
+    ship(docs.sparkSession)
+    at = keep.index(text_column) if text_column in keep else len(keep)
+    extra = [named(text_column).cast("string").alias("_text")] if at == len(keep) else []
+    source = docs.select(*map(named, keep), *extra)
+    names = [*keep, *[x.split()[0] for x in more.split(", ")]]
+    kinds = "".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}, " for f in source.schema.fields[: len(keep)])
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at)
+            made = of_texts(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
+
+    return source.mapInArrow(run, kinds + more)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -3,30 +3,33 @@
 A block is the raw UTF-8 bytes of several texts laid end to end plus their offsets. Words,
 lines and hashes of all texts of a block are found together; blocks are cut by bytes, so memory
 is bounded by BLOCK_BYTES or by the longest single text.
+
+A hash of a range of bytes chains a 64-bit mixer over its words of eight bytes, beginning with its
+length and a seed: no sum or power of a base is involved, so ranges that differ in any regular way
+have unrelated hashes, and hashes of different seeds have nothing in common. Ranges of more than
+LONG_BYTES go through BLAKE2 one by one.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are worked on at a time (a longer text makes a block of its own).
-BLOCK_BYTES = 2_000_000
+#: Bytes of text that are worked on at a time (a longer text makes a block of its own), and bytes
+#: of a range from which on it is hashed on its own.
+BLOCK_BYTES, LONG_BYTES = 500_000, 2048
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def byte_table(seed: int) -> np.ndarray:
-    """256 fixed pseudo-random odd 64-bit values."""
-    return mix(np.arange(1, 257, dtype=_U) + _U(seed * 1_000_003 % (1 << 64))) | _U(1)
+_BASE = 0x9E3779B97F4A7C15
+#: Masks of the first 0 to 8 bytes of a word of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,25 +40,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i <= n; short ones are kept."""
-    if "p" in _POWERS and len(_POWERS["p"]) > n:
-        return _POWERS["p"], _POWERS["q"]
-    size = max(n, BLOCK_BYTES) + 1
-    base, inverse = _BASE, pow(_BASE, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.ones(size, _U)
-        filled, step = 1, b
-        while filled < size:  # doubles the filled part each time
-            k = min(filled, size - filled)
-            p[filled : filled + k] = p[:k] * _U(step)
-            filled += k
-            step = step * step % (1 << 64)
-        out.append(p)
-    if size <= BLOCK_BYTES + 1:
-        _POWERS["p"], _POWERS["q"] = out
-    return out[0], out[1]
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit hashes of byte ranges. `data` has eight more bytes at its end than any range."""
+    size = ends - starts
+    out = mix(size.astype(_U) + mix(np.array([seed], _U))[0])
+    eights = np.ndarray(max(0, len(data) - 7), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    left, at, place = size, starts, None
+    short = size <= LONG_BYTES
+    if not short.all():
+        for i in np.flatnonzero(~short):
+            out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
+        place = np.flatnonzero(short)
+        left, at = left[place], at[place]
+    some = left > 0
+    place = np.flatnonzero(some) if place is None else place[some]
+    left, at = left[some], at[some]
+    while len(place):
+        out[place] = mix(out[place] ^ (eights[at] & _FIRST[np.minimum(left, 8)]))
+        more = left > 8
+        place, left, at = place[more], left[more] - 8, at[more] + 8
+    return out
+
+
+def hash_runs(items: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of runs of hashes, chained alike."""
+    out = mix((end - begin).astype(_U) + mix(np.array([seed], _U))[0])
+    place = np.flatnonzero(end > begin)
+    at, till = begin[place], end[place]
+    while len(place):
+        out[place] = mix(out[place] ^ items[at])
+        more = at + 1 < till
+        place, at, till = place[more], at[more] + 1, till[more]
+    return out
 
 
 class Block:
@@ -84,19 +100,19 @@ class Block:
 
     def hasher(self, seed: int = 1, lower: bool = False):
         """A function (starts, ends) -> 64-bit hashes of those byte ranges."""
-        data = _LOWER[self.data] if lower else self.data
-        p, q = _powers(len(data))
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(byte_table(seed)[data] * p[: len(data)], out=sums[1:])
-
-        def of(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-            return mix((sums[ends] - sums[starts]) * q[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93) + _U(seed))
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[:-8] = _LOWER[self.data] if lower else self.data
+        return lambda starts, ends: hash_ranges(data, starts, ends, seed)
 
-        return of
+    def count(self, marked: np.ndarray) -> np.ndarray:
+        """The number of marked bytes of each text."""
+        at = np.flatnonzero(marked)
+        return np.diff(np.searchsorted(at, self.offsets))
 
 
-def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, size: int | None = None) -> Iterator[Block]:
     """Blocks of an Arrow string column; null counts as empty."""
+    size = size or BLOCK_BYTES
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -108,7 +124,7 @@ def blocks(column: pa.Array | pa.ChunkedArray) -> Iterator[Block]:
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + BLOCK_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield Block(raw[off[i] : off[j]], off[i : j + 1] - off[i], i)
         i = j
 

@@ -89,15 +89,36 @@ def test_lines_by_brute_force(spark, odd, none):
     assert (2, "") in out and (5, " \n\t\n ") in out
 
 
-def test_line_runs_are_merged_and_exact(spark):
-    store = lines.LineStore(spark, buckets=3)
-    batches = [{(k, k): 1 for k in range(a, a + 10)} for a in (0, 5, 5, 20, 3)]
+def test_line_runs_are_merged_and_exact(spark, monkeypatch):
+    """Blocks of a few records: keys that end a block go on in the next."""
+    monkeypatch.setattr(lines, "RECORDS", 3)
+    r = random.Random(1)
+    store = lines.LineStore(spark, buckets=3, min_docs=6)
+    batches = [{(r.randrange(-40, 40) << 20, r.randrange(3)): r.randint(1, 4) for _ in range(90)} for _ in range(5)]
     for b in batches:
         store.add(spark.createDataFrame([(*k, v) for k, v in b.items()], "_k1 long, _k2 long, _n long"))
     assert [len(x) for x in store.levels] == [1, 0, 1]
-    want = collections.Counter(k for b in batches for k in b)
-    assert store.distinct_lines().first()[0] == len(want)
-    assert {(x["_k1"], x["_k2"]): x["_n"] for x in store.counts().collect()} == want
+    want = collections.Counter()
+    for b in batches:
+        want.update(b)
+    assert store.distinct_lines() == len(want)
+    assert {(x["_k1"], x["_k2"]) for x in store.settled().collect()} == {k for k, v in want.items() if v >= 6}
+    assert {(x["_k1"], x["_k2"]): x["_n"] for x in store.open_counts().collect()} == {k: v for k, v in want.items() if v < 6}
+
+
+def test_merged_streams_by_brute_force():
+    r = np.random.default_rng(7)
+    for _ in range(60):
+        streams, want = [], collections.Counter()
+        for _ in range(r.integers(0, 5)):
+            keys = sorted({(int(a), int(b)) for a, b in zip(r.integers(-5, 5, 20), r.integers(0, 3, 20), strict=True)})
+            n = [int(x) for x in r.integers(1, 9, len(keys))]
+            want.update(dict(zip(keys, n, strict=True)))
+            whole = lines._records([k[0] for k in keys], [k[1] for k in keys], n, False, False)
+            cuts = np.sort(r.integers(0, len(keys), 3))
+            streams.append(iter([x for x in np.split(whole, cuts) if len(x)]))
+        got = [(int(x["k1"]), int(x["k2"]), int(x["n"])) for block in lines.merged(streams) for x in block]
+        assert got == [(*k, want[k]) for k in sorted(want)]
 
 
 def test_media_round_trip(odd, none):
