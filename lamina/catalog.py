@@ -56,7 +56,22 @@ def shadow_rows(spark, sf_dir):
 
 
 def children_of_files(spark, sf_dir):
-    return squash.children_of_files(squash.live(_squashed(spark, sf_dir))).select("image_id", "path", "parent_kind")
+    """With the folders of mode 1 written as files."""
+    rows = adapters.change_log(spark, sf_dir).withColumn("kind", F.when(F.col("mode") == 1, "Regular").otherwise(F.col("kind")))
+    return squash.children_of_files(squash.live(squash.squash(rows))).select("image_id", "path", "parent_kind")
+
+
+def squash_without_meta(spark, sf_dir):
+    """With every other file of size 50 and more written as a record that is no entry."""
+    meta = (F.col("kind") == "Regular") & (F.col("size") >= 50) & (F.col("entry_idx") % 2 == 0)
+    rows = adapters.change_log(spark, sf_dir).withColumn("kind", F.when(meta, "Meta").otherwise(F.col("kind")))
+    return squash.live(squash.squash(rows)).select("image_id", "path", "kind", "size", "entry_idx")
+
+
+def mode_bits(spark, sf_dir):
+    mode = (F.col("c_custkey") * 37 % 4096).cast("int")
+    rows = adapters.table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", *[scalars.has_bits(mode, bits).alias(name) for name, bits in (("set_uid", 0o4000), ("set_gid", 0o2000), ("sticky", 0o1000), ("all_read", 0o444))], scalars.octal(mode).alias("octal"))
 
 
 def marker_decode(spark, sf_dir):
@@ -183,12 +198,19 @@ def platform_divergence(spark, sf_dir):
     return report.platform_divergence(rows)
 
 
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Rows with faults of known places: some are lost, moved, or have another mode or size."""
+    n = F.octet_length("path") + F.col("image_id")
+    rows = rows.filter(n % 11 != 0).withColumns({"mode": F.when((n % 11).isin(1, 3), F.col("mode") + 1).otherwise(F.col("mode")), "size": F.when((n % 11).isin(2, 3), F.col("size") + 1).otherwise(F.col("size"))})
+    return rows.withColumn("path", F.when(n % 11 == 4, F.concat("path", F.lit("~"))).otherwise(F.col("path")))
+
+
 def roundtrip_diff(spark, sf_dir):
-    """Layers put together again, against the images: no difference."""
+    """Layers put together again and then damaged, against the images: the damage and nothing else."""
     live = cut(_tree(spark, sf_dir))
     layers = compact.dissolve(_layers(live), live, THRESHOLD)
     again = verify.reapplied(layers, stack.stacks(layers.select("m")))
-    return verify.differences(live, again).agg(F.count("*").alias("differences"))
+    return verify.differences(live, _damaged(again))
 
 
 def roundtrip_log(spark, sf_dir):
@@ -196,12 +218,12 @@ def roundtrip_log(spark, sf_dir):
     live = cut(squash.live(_squashed(spark, sf_dir)))
     layers = cut(_layers(live))
     again = verify.reapplied(layers, stack.stacks(layers.select("m")))
-    return verify.differences(live, again).agg(F.count("*").alias("differences"))
+    return verify.differences(live, _damaged(again))
 
 
 def t0_format(spark, sf_dir):
     rows = adapters.table(spark, sf_dir, "events").select("event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t"))
-    return rows.select("event_id", scalars.rfc3339(F.col("t") * (F.col("event_id") % 4 - 1)).alias("created"))
+    return rows.select("event_id", scalars.rfc3339(F.col("t") * ((F.col("event_id") % 7 - 3) * 60)).alias("created"))
 
 
 def scalar_sizes(spark, sf_dir):

@@ -77,3 +77,13 @@ def parse_size(text: str) -> int:
     if out > U64_MAX:
         raise UsageError(f"not a size: {text!r}")
     return out
+
+
+def has_bits(mode: Column, bits: int) -> Column:
+    """Whether a mode has all of these bits, like 0o4000 for set-user-id."""
+    return mode.bitwiseAND(F.lit(bits)) == F.lit(bits)
+
+
+def octal(mode: Column) -> Column:
+    """Four octal digits."""
+    return F.lpad(F.conv(mode.cast("string"), 10, 8), 4, "0")

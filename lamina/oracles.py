@@ -110,6 +110,14 @@ def _dissolved(source: str, n: int, out: str) -> str:
 {out}_one AS (SELECT * FROM {out}_all QUALIFY row_number() OVER (PARTITION BY m, path ORDER BY image_id) = 1),""" + _filled(f"{out}_one", out)
 
 
+def _damage(source: str) -> str:
+    """What the faults that the query puts into these rows must be found as."""
+    return f"""
+, dm AS (SELECT image_id, path, (strlen(path) + image_id) % 11 AS n FROM {source})
+SELECT image_id, path, CASE n WHEN 1 THEN 'mode' WHEN 2 THEN 'size' WHEN 3 THEN 'mode,size' ELSE 'only left' END AS reason FROM dm WHERE n < 5
+UNION ALL SELECT image_id, path || '~', 'only right' FROM dm WHERE n = 4"""
+
+
 _BACKFILLED = _LAYERS + "," + _filled("l0", "l1")
 _SHOW = "array_to_string(m, ',') AS images"
 _PAGES = """
@@ -125,8 +133,9 @@ FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER B
     "squash_with_tombstones": f"WITH {_LOG} SELECT image_id, path, kind, mode, size, layer_idx, entry_idx FROM sq WHERE alive",
     "shadow_rows": f"WITH {_LOG} SELECT image_id, path, kind, layer_idx, entry_idx FROM sq WHERE NOT alive",
     "children_of_files": f"""
-WITH {_LOG} SELECT a.image_id, a.path, b.kind AS parent_kind FROM sq a JOIN sq b
-ON a.image_id = b.image_id AND a.alive AND b.alive AND b.kind <> 'Directory' AND regexp_replace(a.path, '/[^/]*$', '') = b.path AND a.path <> b.path""",
+WITH {_LOG}, nk AS (SELECT image_id, path, CASE WHEN mode = 1 THEN 'Regular' ELSE kind END AS kind FROM sq WHERE alive)
+SELECT a.image_id, a.path, b.kind AS parent_kind FROM nk a JOIN nk b
+ON a.image_id = b.image_id AND b.kind <> 'Directory' AND regexp_replace(a.path, '/[^/]*$', '') = b.path AND a.path <> b.path""",
     "marker_decode": f"""
 WITH {_LOG} SELECT image_id, CASE event_type WHEN 'error' THEN 'remove' ELSE 'opaque' END AS action,
   CASE event_type WHEN 'error' THEN folder || '/f' || (k % 4) ELSE folder END AS victim, count(*) AS n
@@ -211,10 +220,18 @@ SELECT image_id, layer_idx, count(*) AS n, sum(size)::BIGINT AS bytes FROM w GRO
     "platform_divergence": """
 SELECT field FROM (SELECT 'architecture' AS field, count(DISTINCT lang) > 1 AS d FROM documents
 UNION ALL SELECT 'variant', count(DISTINCT doc_id % 2) > 1 FROM documents) WHERE d""",
-    "roundtrip_diff": "SELECT 0::BIGINT AS differences",
-    "roundtrip_log": "SELECT 0::BIGINT AS differences",
+    "roundtrip_diff": f"WITH {_TREE} {_damage('lv')}",
+    "roundtrip_log": f"WITH {_LOG} {_damage('sq WHERE alive')}",
+    "mode_bits": """
+WITH t AS (SELECT c_custkey, (c_custkey * 37 % 4096)::INT AS m FROM customer)
+SELECT c_custkey, m // 2048 % 2 = 1 AS set_uid, m // 1024 % 2 = 1 AS set_gid, m // 512 % 2 = 1 AS sticky,
+  m // 256 % 2 = 1 AND m // 32 % 2 = 1 AND m // 4 % 2 = 1 AS all_read,
+  (m // 512)::VARCHAR || (m // 64 % 8)::VARCHAR || (m // 8 % 8)::VARCHAR || (m % 8)::VARCHAR AS octal FROM t""",
+    "squash_without_meta": f"""
+WITH {_LOG.replace("FROM ev WHERE event_type IN ('click', 'view', 'purchase')", "FROM ev WHERE event_type = 'click' OR event_type IN ('view', 'purchase') AND (k < 5 OR event_id % 2 = 1)")}
+SELECT image_id, path, kind, size, entry_idx FROM sq WHERE alive""",
     "t0_format": """
-WITH t AS (SELECT event_id, least(greatest(epoch_us(ts) // 1000000 * (event_id % 4 - 1), -62135596800), 253402300799) AS s FROM events)
+WITH t AS (SELECT event_id, least(greatest(epoch_us(ts) // 1000000 * ((event_id % 7 - 3) * 60), -62135596800), 253402300799) AS s FROM events)
 SELECT event_id, strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created FROM t""",
     "scalar_sizes": """
 SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN c_custkey WHEN 1 THEN c_custkey * 1024 WHEN 2 THEN c_custkey * 1048576 WHEN 3 THEN c_custkey * 1073741824 END::BIGINT AS bytes,

@@ -28,7 +28,7 @@ def created(t0: int) -> str:
 
 
 def created_by(m: tuple[int, ...]) -> str:
-    return f"lamina: per-image layer for image-{m[0]}" if len(m) == 1 else f"lamina: shared layer for {{{','.join(map(str, m))}}}"
+    return f"lamina, entries of image {m[0]} alone" if len(m) == 1 else f"lamina, entries that images {', '.join(map(str, m))} share"
 
 
 def _descriptor(kind: str, digest: str, size: int, **more) -> dict:

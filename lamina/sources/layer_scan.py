@@ -1,7 +1,7 @@
 """A data source for layers: one partition for each layer, one row for each tar record.
 
     spark.dataSource.register(LayerSource)
-    spark.read.format("image_layers").option("layers", layers_option(images)).load()
+    spark.read.format("image_layers").option("layers", json.dumps(layer_rows(images))).load()
 
 Each layer is read once, as a stream; bodies are hashed as they pass and are not kept.
 """
