@@ -7,11 +7,12 @@ rows are written as a table, so later reads name only shards of tasks that were
 lost task left behind is named by no row.
 
 Metadata columns come from reads of the first 33 bytes of a payload; features from reads of the
-whole. Both open shards through pyarrow's file systems, so any shared store will do. Reads are
-grouped by shard and take neighbours together.
+whole. Both open shards through pyarrow's file systems, so any shared store will do. Within an Arrow
+batch, reads go through the shards in the order of places, and rows of one payload share a read.
 
-Null counts as empty; equal texts give equal values; repeated rows refer to one payload in a shard.
-An empty table gives empty tables.
+Null counts as empty; texts of any length are stored whole; equal texts give equal values; repeated rows
+refer to one payload in a shard. An empty table gives empty tables. Other columns of any name don't
+matter.
 """
 
 from __future__ import annotations

@@ -5,8 +5,8 @@ transformed statistics; for each language and source a minimum-covariance-determ
 finds the centre and spread of the densest half of the vectors, and a text is rejected when its
 squared Mahalanobis distance exceeds a chi-square quantile.
 
-The estimate: from several starts (the medians, and each statistic's quartiles in their place) it
-concentrates step by step on the half of the rows with the least distances, until the determinant
+The estimate: from several starts (the medians, and the quartiles of one or two statistics in their
+place) it concentrates step by step on the half of the rows with the least distances, until the determinant
 of their covariance no longer falls; of the starts, the one with the least determinant holds. The
 half is exact but for rows whose distances differ by less than a part in `BINS` of a doubling, which
 enter in equal parts. A statistic that has one value in more than half of a group's rows, as most
@@ -29,6 +29,7 @@ table gives an empty result. Columns whose names are those of results are replac
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -174,10 +175,12 @@ def starts(k: np.ndarray, value: np.ndarray, rows: np.ndarray) -> list[tuple[np.
     spread = np.maximum((high - low) / 1.349, 1 / np.array(UNITS))
     inverse = np.diag(np.where(free, 1 / spread**2, 0.0))
     out = [(centre, inverse, flat)]
-    for i in np.flatnonzero(free):
-        for v in (low[i], high[i]):
+    some = np.flatnonzero(free).tolist()
+    for places in [(i,) for i in some] + list(itertools.combinations(some, 2)):
+        for quartiles in itertools.product((low, high), repeat=len(places)):
             moved = centre.copy()
-            moved[i] = v
+            for i, q in zip(places, quartiles, strict=True):
+                moved[i] = q[i]
             out.append((moved, inverse, flat))
     return out
 

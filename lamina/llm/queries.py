@@ -60,7 +60,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     lengths = token_counts.encoded_lengths(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ["lang"])
-    return token_counts.context_report(token_counts.length_histogram(lengths, ["lang"]), ["lang"])
+    return token_counts.full_report(lengths, "lang", LIMITS, SHARES)
+
+
+#: Context limits that have rows of op10 whether they occur as lengths or not, and its quantiles.
+LIMITS, SHARES = [1 << k for k in range(7, 21)], [0.5, 0.9, 0.99]
 
 
 def queries() -> dict:

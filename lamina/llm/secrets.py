@@ -11,7 +11,9 @@ of TRAINING rows is used: random keys in usual formats against hashes, identifie
 placeholders and the like.
 
 Null and empty texts have no candidates; a null path counts as empty. Candidates of any length are
-whole. Repeated rows give repeated findings. An empty table gives an empty result.
+whole, in texts of any length; any number of blanks may stand beside a sign. Repeated rows give repeated
+findings; of candidates that begin together the first found stays; a score of just the threshold is a
+secret. An empty table gives an empty result. Other columns of any name don't matter.
 """
 
 from __future__ import annotations
@@ -61,9 +63,10 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _ASSIGN = np.zeros(256, bool)
 _ASSIGN[list(b"=:")] = True
-_NAME = re.compile(rb"([A-Za-z][A-Za-z0-9_.\-]*)[\"']?\s{0,4}$")
-_VALUE = re.compile(rb"\s{0,4}[\"']?([^\s\"']+)")
+_VALUE = re.compile(rb"[\"']?([^\s\"']+)")
+_NAMED = tuple(c.encode() for c in CUES)
 _HEADER = re.compile(rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
+_LONGEST = max(map(len, CUES))
 _TOKENS = re.compile(r"[A-Za-z][A-Za-z0-9]*")
 _DICTIONARY = re.compile("|".join(sorted((w for w in WORDS if len(w) > 3), key=len, reverse=True)))
 
@@ -129,15 +132,19 @@ def candidates(b: tv.Block) -> list[tuple[int, int, int, str]]:
             found[e - len(core), end] = (d, "run")
     signs = np.flatnonzero(_ASSIGN[b.data])
     owner = np.searchsorted(b.offsets, signs, "right") - 1
-    for at, d in zip(signs.tolist(), owner.tolist(), strict=True):
+    solid = np.flatnonzero(~tv._SPACE[b.data]) if len(signs) else signs  # whatever blanks are beside a sign
+    before, after = np.searchsorted(solid, signs) - 1, np.searchsorted(solid, signs) + 1
+    for k, d in enumerate(owner.tolist()):
         low, high = int(b.offsets[d]), int(b.offsets[d + 1])
-        name = _NAME.search(b.data[max(low, at - 64) : at].tobytes())
-        if name and name[1].lower().endswith(tuple(c.encode() for c in CUES)):
+        till = int(solid[before[k]]) + 1 if before[k] >= 0 else 0
+        at = int(solid[after[k]]) if after[k] < len(solid) else high
+        name = b.data[max(low, till - 1 - _LONGEST) : max(low, till)].tobytes().lower()
+        if (name[:-1] if name[-1:] in (b'"', b"'") else name).endswith(_NAMED) and at < high:
             size = 256
-            while (value := _VALUE.match(b.data[at + 1 : min(high, at + 1 + size)].tobytes())) and value.end() == size and at + 1 + size < high:
+            while (value := _VALUE.match(b.data[at : min(high, at + size)].tobytes())) and value.end() == size and at + size < high:
                 size *= 4
             if value and value.end(1) - value.start(1) >= LEAST_VALUE:
-                s, e = at + 1 + value.start(1), at + 1 + value.end(1)
+                s, e = at + value.start(1), at + value.end(1)
                 while e > s and b.data[e - 1] in b".,;)]}":
                     e -= 1
                 if not any((s, x) in found for x in range(e - 4, e + 4)) and e - s >= LEAST_VALUE:

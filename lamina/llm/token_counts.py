@@ -3,7 +3,9 @@
 Every document is encoded once; all that is kept is how many documents have each length. Sums from
 the long end answer totals, quantiles and totals after truncation for every context limit.
 
-Null and empty texts have length 0 and are counted. An empty table gives an empty histogram.
+Null and empty texts have length 0 and are counted; very long ones are encoded whole. Repeated rows count
+each time, and equal lengths are one row of the histogram. Null groups are groups. An empty table gives
+an empty histogram.
 """
 
 from __future__ import annotations
@@ -53,6 +55,12 @@ def length_histogram(lengths: DataFrame, by: list[str] = ()) -> DataFrame:
     return lengths.groupBy(*by, "n_tokens").agg(F.count("*").alias("n_docs"))
 
 
+def with_limits(histogram: DataFrame, limits: list[int], by: list[str] = ()) -> DataFrame:
+    """The histogram with lengths of no documents, so that a report has a row for each limit."""
+    more = histogram.select(*by).distinct().select(*by, F.explode(F.array(*[F.lit(x).cast("long") for x in limits])).alias("n_tokens"), F.lit(0).cast("long").alias("n_docs"))
+    return histogram.unionByName(more).groupBy(*by, "n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+
+
 def context_report(histogram: DataFrame, by: list[str] = ()) -> DataFrame:
     """For each length L of a histogram, as a context limit: documents and tokens up to L and
     above, tokens left when each document is truncated at L, tokens lost, and the share of
@@ -97,6 +105,18 @@ def quantiles(report: DataFrame, shares: list[float], by: list[str] = ()) -> Dat
     return report.groupBy(*by).agg(*[F.min(F.when(F.col("docs_within") >= F.lit(s) * (F.col("docs_within") + F.col("docs_above")), F.col("context_limit"))).alias(f"q{s:g}") for s in shares])
 
 
+def full_report(lengths: DataFrame, by: str, limits: list[int], shares: list[float]) -> DataFrame:
+    """context_report of each value of the column `by` and of all rows (in_all true, `by` null), at all
+    lengths that occur and at the limits given, with the quantiles of the group."""
+    each = length_histogram(lengths, [by]).withColumn("in_all", F.lit(False))
+    whole = each.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).select(F.lit(None).cast(lengths.schema[by].dataType).alias(by), "n_tokens", "n_docs", F.lit(True).alias("in_all"))
+    keys = [by, "in_all"]
+    report = context_report(with_limits(each.unionByName(whole), limits, keys), keys)
+    at = quantiles(report, shares, keys)
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"q.{c}")) for c in keys]
+    return report.alias("r").join(at.alias("q"), on[0] & on[1]).select("r.*", *[F.col(f"q.`q{s:g}`").alias(f"quantile_{round(100 * s)}") for s in shares])
+
+
 def truncated_total(histogram: DataFrame, limit: int, by: list[str] = ()) -> DataFrame:
     """Tokens left when each document is cut at any limit, occurring as a length or not."""
     return histogram.groupBy(*by).agg(F.sum(F.least("n_tokens", F.lit(limit)) * F.col("n_docs")).alias("truncated_tokens"))
