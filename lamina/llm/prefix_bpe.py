@@ -7,7 +7,9 @@ would leave just these two. Following the stored tokens back from the end gives
 One pass, linear in the word's length, whatever the merges do.
 
 Null texts count as empty and have no ids; texts without tokens decode to the empty string; long
-words need memory in proportion to their length only. Other columns are not looked at.
+words need memory in proportion to their length only. There are no ties: a prefix has one last token.
+Repeated rows have equal ids. An empty table gives an empty result. Other columns are not looked at,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.shared import ship
+from lamina.llm.shared import give_back, named, ship
 
 #: Words and pieces kept with their ids by each worker, and the longest kept.
-CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 300_000, 600_000, 64
+CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 100_000, 100_000, 64
 
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
 #: What str.split() takes for white space, unlike the tokenizers' patterns.
@@ -62,7 +64,7 @@ class PrefixEncoder:
         parts = json.loads(spec)
         model = parts["model"]
         off = {k: model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")}
-        if model["type"] != "BPE" or any(off.values()) or parts.get("decoder") or any(x["normalized"] for x in parts["added_tokens"]):
+        if model["type"] != "BPE" or any(off.values()) or parts.get("decoder") or any(x.get(k) for x in parts["added_tokens"] for k in ("normalized", "single_word", "lstrip", "rstrip")):
             raise ValueError(f"this kind of tokenizer is not handled: {off}")
         self._library = Tokenizer.from_str(spec)  # for its normalizer and its word pattern only
         self._suffix = model.get("end_of_word_suffix") or ""
@@ -135,7 +137,7 @@ class PrefixEncoder:
                 r = self.merge.get((x, y))
                 if r is not None and r < used_x and r <= used_y:
                     out = False
-        if len(self._fits) > 500_000:
+        if len(self._fits) > 2 * CACHE_PIECES:
             self._fits.clear()
         self._fits[a << 32 | b] = out
         return out
@@ -240,8 +242,9 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
                 second.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
             kind = pa.string() if digests else pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], names=names)
+        give_back()
 
     names = [id_column, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-    kind = docs.schema[id_column].dataType.simpleString()
+    kind = docs.select(named(id_column)).schema[0].dataType.simpleString()
     schema = f"`{id_column}` {kind}, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return docs.select(F.col(id_column), F.col(text_column).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(named(id_column), named(text_column).cast("string").alias("text")).mapInArrow(run, schema)

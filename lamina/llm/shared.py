@@ -4,6 +4,7 @@ columns, row keys, and passes over texts."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -94,6 +95,14 @@ def ship(spark: SparkSession) -> None:
     sc._lamina_shipped = True
 
 
+def give_back() -> None:
+    """At the end of a task: freed memory goes back to the system, for the worker lives on."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def named(name: str) -> Column:
     """The column of just this name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
@@ -144,6 +153,7 @@ def over_texts(docs: DataFrame, keep: list[str], text_column: str, more: str, of
             texts = batch.column(at)
             made = of_texts(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=names)
+        give_back()
 
     return source.mapInArrow(run, kinds + more)
 
