@@ -16,7 +16,7 @@ def vocabulary(name: str) -> str:
 
 
 def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(documents(spark, sf_dir))
+    return secrets.scan(documents(spark, sf_dir), vocabulary=vocabulary("word_bpe_49k.json"))
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

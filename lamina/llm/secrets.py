@@ -6,6 +6,9 @@ or more characters that are assigned (with = or :) to a name that ends in a cue
 kinds of characters and between letters, the share covered by dictionary words, the path, and the
 words beside it. A random forest, trained from labelled findings, gives the probability of a secret.
 
+The dictionary is the words below and, with a vocabulary file of a public tokenizer, its entries of
+LEAST_ENTRY letters or more that end a word: some 25,000 words whose number doesn't grow with the data.
+
 Labelled findings are rows (text, begin, end, path, label); without a table of them, a generated one
 of TRAINING rows is used: random keys in usual formats against hashes, identifiers, addresses,
 placeholders and the like.
@@ -18,7 +21,9 @@ secret. An empty table gives an empty result. Other columns of any name don't ma
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import math
 import random
 import re
@@ -34,6 +39,8 @@ from lamina.llm.shared import ship
 #: Rows of generated findings, trees and their depth, least probability of a secret.
 TRAINING, TREES, DEPTH, THRESHOLD = 3000, 40, 8, 0.5
 LEAST_RUN, LEAST_VALUE = 16, 6
+#: Least letters of a word of the dictionary, and of an entry of a vocabulary (shorter ones are often word ends).
+LEAST_WORD, LEAST_ENTRY = 4, 5
 #: Bytes beside a candidate that are looked at for words.
 CONTEXT = 48
 
@@ -68,29 +75,66 @@ _NAMED = tuple(c.encode() for c in CUES)
 _HEADER = re.compile(rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")
 _LONGEST = max(map(len, CUES))
 _TOKENS = re.compile(r"[A-Za-z][A-Za-z0-9]*")
-_DICTIONARY = re.compile("|".join(sorted((w for w in WORDS if len(w) > 3), key=len, reverse=True)))
 
 
-def _transitions() -> np.ndarray:
-    """Logarithms of the shares of letters after letters in the dictionary."""
-    n = np.ones((27, 27))
-    for w in WORDS:
-        codes = [ord(c) - 96 if c.isalpha() else 0 for c in f" {w} "]
-        for a, b in zip(codes, codes[1:], strict=False):
-            n[a, b] += 1
-    return np.log(n / n.sum(axis=1, keepdims=True))
+class Dictionary:
+    """Words that cover a value, and how well its letters follow each other as in the words."""
+
+    def __init__(self, more: tuple[str, ...] = ()):
+        import ahocorasick
+
+        self._automaton = ahocorasick.Automaton()
+        n = np.ones((27, 27))
+        for w in dict.fromkeys([*WORDS, *more]):
+            if len(w) >= LEAST_WORD:
+                self._automaton.add_word(w, len(w))
+            codes = _codes(f" {w} ")
+            for a, b in zip(codes, codes[1:], strict=False):
+                n[a, b] += 1
+        self._automaton.make_automaton()
+        self._letters = np.log(n / n.sum(axis=1, keepdims=True))
+
+    def coverage(self, lower: str) -> float:
+        """The share of characters in words, longest and leftmost first, none in two words."""
+        return sum(size for _, size in self._automaton.iter_long(lower)) / max(1, len(lower))
+
+    def letter_score(self, lower: str) -> float:
+        """The mean logarithm of the letters' transitions."""
+        codes = _codes(lower)
+        return float(np.mean(self._letters[codes[:-1], codes[1:]])) if len(lower) > 1 else 0.0
+
+
+def _codes(lower: str) -> list[int]:
+    return [ord(c) - 96 if "a" <= c <= "z" else 0 for c in lower]
+
+
+@functools.lru_cache(maxsize=2)
+def dictionary_of(more: tuple[str, ...] = ()) -> Dictionary:
+    """One dictionary for each list of words and process."""
+    return Dictionary(more)
+
+
+def entries(vocabulary: str | None) -> tuple[str, ...]:
+    """The words of a tokenizers file whose entries mark the ends of words; none without a file."""
+    if vocabulary is None:
+        return ()
+    with open(vocabulary, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    end = model.get("end_of_word_suffix") or ""
+    words = {name[: len(name) - len(end)].lower() for name in model["vocab"] if end and name.endswith(end)}
+    return tuple(sorted(w for w in words if len(w) >= LEAST_ENTRY and w.isascii() and w.isalpha()))
 
 
-_LETTERS = _transitions()
 FEATURES = ["length", "entropy", "digits", "upper", "lower", "symbols", "hex", "kind_changes", "letter_score", "dictionary", "distinct", "assigned", "quoted", "cue_before", "words_for", "words_against", "path_against", "path_depth", "dots", "dashes"]
 
 
-def features(value: str, before: str, after: str, path: str) -> list[float]:
+def features(value: str, before: str, after: str, path: str, dictionary: Dictionary | None = None) -> list[float]:
+    """The FEATURES of a candidate; without a dictionary, that of WORDS alone counts."""
+    dictionary = dictionary or dictionary_of()
     n = max(1, len(value))
     kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s" for c in value]
     counts = {c: value.count(c) for c in set(value)}
     lower = value.lower()
-    codes = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in lower]
     names = [w.lower() for w in _TOKENS.findall(before)][-5:]
     near = {*names, *[p for w in names for p in re.split(r"[_\-.]", w)], *[w.lower() for w in _TOKENS.findall(after)][:3]}
     tail = before.rstrip()
@@ -103,8 +147,8 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         *[kinds.count(k) / n for k in "duls"],
         float(re.fullmatch(r"[0-9a-f]+", lower) is not None),
         sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / n,
-        float(np.mean(_LETTERS[codes[:-1], codes[1:]])) if n > 1 else 0.0,
-        sum(len(m[0]) for m in _DICTIONARY.finditer(lower)) / n,
+        dictionary.letter_score(lower),
+        dictionary.coverage(lower),
         len(counts) / min(n, 64),
         float(assigned),
         float(tail[-1:] in ("\"", "'")),
@@ -198,7 +242,7 @@ def training_findings(n: int = TRAINING, seed: int = 7) -> list[tuple[str, int,
     return out
 
 
-def forest(spark: SparkSession, labelled: DataFrame | None = None):
+def forest(spark: SparkSession, labelled: DataFrame | None = None, more: tuple[str, ...] = ()):
     """A random forest fitted on labelled findings, in one partition so that it is the same
     wherever it is fitted. labelled: (text, begin, end, path, label), at most TRAINING rows are
     taken, those with the least hashes."""
@@ -210,18 +254,20 @@ def forest(spark: SparkSession, labelled: DataFrame | None = None):
     else:
         names = ["text", "begin", "end", "path", "label"]
         rows = [tuple(x) for x in labelled.select(*names).orderBy(F.xxhash64(*names), *names).limit(TRAINING).collect()]
-    data = [(features(t[s:e], t[max(0, s - CONTEXT) : s], t[e : e + CONTEXT], p or ""), float(y)) for t, s, e, p, y in rows]
+    dictionary = dictionary_of(more)
+    data = [(features(t[s:e], t[max(0, s - CONTEXT) : s], t[e : e + CONTEXT], p or "", dictionary), float(y)) for t, s, e, p, y in rows]
     table = spark.createDataFrame(data, "f array<double>, label double").coalesce(1).select(array_to_vector("f").alias("features"), "label")
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=11, featureSubsetStrategy="sqrt").fit(table)
 
 
-def find_candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source") -> DataFrame:
+def find_candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source", more: tuple[str, ...] = ()) -> DataFrame:
     """(id, kind, begin, end, value_sha256, f): places are code points; the value itself is not
     carried on."""
     ship(docs.sparkSession)
     kind_of_id = docs.schema[id_column].dataType.simpleString()
 
     def run(batches):
+        dictionary = dictionary_of(more)
         for batch in batches:
             paths = batch.column(1)
             who, rows = [], []
@@ -231,7 +277,7 @@ def find_candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                     value, before, after = _beside(b, d, s, e)
                     zero = points[b.offsets[d]]
                     who.append(d + b.first)
-                    rows.append((kind, int(points[s] - zero), int(points[e] - zero), hashlib.sha256(value.encode()).hexdigest(), features(value, before, after, paths[d + b.first].as_py() or "")))
+                    rows.append((kind, int(points[s] - zero), int(points[e] - zero), hashlib.sha256(value.encode()).hexdigest(), features(value, before, after, paths[d + b.first].as_py() or "", dictionary)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), *map(pa.array, columns, kinds)], names=["_id", "kind", "begin", "end", "value_sha256", "f"])
@@ -241,13 +287,15 @@ def find_candidates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return source.mapInArrow(run, f"_id {kind_of_id}, kind string, begin long, end long, value_sha256 string, f array<double>")
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, id_column: str = "doc_id", text_column: str = "text", path_column: str = "source", threshold: float = THRESHOLD, vocabulary: str | None = None) -> DataFrame:
     """Every candidate with its probability (rounded to 6 places) and is_secret. Headers of
-    private keys are secrets whatever the forest says."""
+    private keys are secrets whatever the forest says. vocabulary: path of a tokenizers file, read
+    by the driver, for the dictionary."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    model = forest(docs.sparkSession, labelled)
-    found = find_candidates(docs, id_column, text_column, path_column)
+    more = entries(vocabulary)
+    model = forest(docs.sparkSession, labelled, more)
+    found = find_candidates(docs, id_column, text_column, path_column, more)
     scored = model.transform(found.withColumn("features", array_to_vector("f")))
     p = F.when(F.col("kind") == "private_key", F.lit(1.0)).otherwise(F.round(vector_to_array("probability")[1], 6))
     return scored.select(F.col("_id").alias(id_column), "kind", "begin", "end", "value_sha256", p.alias("score")).withColumn("is_secret", F.col("score") >= threshold)

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import re
 import random
 
 import numpy as np
@@ -163,10 +164,13 @@ FINDINGS = [
 ]
 
 
-def test_secrets_written_by_hand(spark):
-    """Every secret is a candidate, whatever blanks are beside the sign; the forest is right on most."""
+@pytest.mark.parametrize("words", [False, True])
+def test_secrets_written_by_hand(spark, words):
+    """Every secret is a candidate, whatever blanks are beside the sign; the forest is right on most,
+    with the few words of its own and with those of a vocabulary."""
+    path = tokenizers.path("word_bpe_49k.json") if words else None
     rows = [(k, t, "en", "src", 1) for k, (t, _, _) in enumerate(FINDINGS)]
-    got = secrets.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    got = secrets.scan(spark.createDataFrame(rows, SCHEMA), vocabulary=path).collect()
     seen = {x["doc_id"] for x in got}
     assert {k for k, (_, _, y) in enumerate(FINDINGS) if y} <= seen
     for x in got:
@@ -177,6 +181,20 @@ def test_secrets_written_by_hand(spark):
     assert sum(said[k] for k, f in enumerate(FINDINGS) if f[2]) >= 6 and sum(said[k] for k, f in enumerate(FINDINGS) if not f[2]) <= 2
 
 
+def test_dictionary():
+    some = secrets.dictionary_of(("bridge", "bridges", "footbridge"))
+    assert some.coverage("bridges") == 1 and some.coverage("footbridge") == 1 and some.coverage("xqzv") == 0 == some.coverage("")
+    assert some.coverage("xxbridgexx") == 0.6 and secrets.dictionary_of().coverage("xxbridgexx") == 0
+    assert some.letter_score("that") > some.letter_score("qzxj") and some.letter_score("a") == 0
+    assert secrets.entries(None) == ()
+
+
+def test_every_licence_form_has_a_cue():
+    """What the classifier knows of licences all gets to it."""
+    forms = [p for table in (licenses.TEMPLATES, licenses.SHORT) for ps in table.values() for p in ps]
+    assert forms and [p for p in forms if not re.search(licenses.CUE, p)] == []
+
+
 def test_recall_of_links_on_the_given_documents(spark):
     """All pairs by their sets, over the whole of the smaller table, or a table of our own without it."""
     try:
