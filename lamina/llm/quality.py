@@ -221,6 +221,12 @@ def spread_of(cov: np.ndarray, flat: int) -> np.ndarray:
     return (axes * size) @ axes.T * np.outer(least, least)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """No more partitions than there are cores: a state has a row for each start of each group, so
+    that most of its shuffle's partitions have none, and a step would cost what its empty tasks do."""
+    return df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def _start(cells: DataFrame) -> DataFrame:
     """All starts of all groups."""
     each = cells.select("_g", "_n", F.posexplode(F.array(*_X)).alias("_k", "_v")).groupBy("_g", "_k", "_v").agg(F.sum("_n").alias("_n"))
@@ -235,7 +241,7 @@ def _start(cells: DataFrame) -> DataFrame:
                     rows.append((g, s, int(n[k == 0].sum()), centre, inverse.ravel(), flat, math.inf, True))
             yield _state(rows)
 
-    return lists.mapInArrow(run, _STATE)
+    return _few(lists).mapInArrow(run, _STATE)
 
 
 def _distance() -> Column:
@@ -273,7 +279,7 @@ def _concentrate(cells: DataFrame, state: DataFrame) -> DataFrame:
                     rows.append((*e.values(), False))
             yield _state(rows)
 
-    return both.mapInArrow(run, _STATE)
+    return _few(both).mapInArrow(run, _STATE)
 
 
 def _best(state: DataFrame) -> DataFrame:
@@ -293,13 +299,13 @@ def estimates(cells: DataFrame) -> DataFrame:
             moving = new  # a start that stood still does so again
             continue
         if step == TRIAL_STEPS:
-            new = written(_best(new), "quality-best")
+            new = written(_few(_best(new)), "quality-best")
         still.append(new.filter("not _moved"))
         moving = new.filter("_moved")
     out = moving
     for d in still:
         out = out.unionByName(d)
-    return written(out, "quality-settled")
+    return written(_few(out), "quality-settled")
 
 
 def _blended(groups: DataFrame, found: DataFrame) -> DataFrame:
