@@ -276,3 +276,28 @@ def test_long_texts_are_worked_on_whole(spark):
     assert cut[1] == rows[0][1] and "tail30" not in cut[2] and "tail30" not in cut[3]
     gone = {x["doc_id"]: (x["_n_lines"], x["_n_dropped"]) for x in lines.drop_common(docs, min_docs=3).collect()}
     assert gone == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 0)}
+
+
+def test_texts_of_many_common_lines(spark):
+    """Places of a text's common lines are kept as bits: 20,000 lines of 10 texts, and the result by a model."""
+    r = random.Random(31)
+    rows = [(k, "\n".join([f"own {k}", *(f"w{r.randint(0, 300)}" for _ in range(20_000)), "é" * (k % 2)])) for k in range(10)]
+    docs = spark.createDataFrame([*rows, rows[3], (11, None), (12, "\n\n")], "doc_id long, text string")
+    out = lines.drop_common(docs)
+    plan = out._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "split(" not in plan  # no list of lines, no set of places
+    got = sorted((x["doc_id"], x["text"], x["_n_lines"], x["_n_dropped"]) for x in out.collect())
+    short = [(k, f"own {k}\n" + "é" * (k % 2), 20_002, 20_000) for k, _ in rows]
+    assert got == sorted([*short, short[3], (11, "", 1, 0), (12, "\n\n", 3, 0)])
+
+
+def test_lists_of_places(spark):
+    rows = [(k, p) for k in (1, 5) for p in (0, 63, 64, 65, 127, 128, 1_000_000 + k)]
+    lists = shared.bit_lists(spark.createDataFrame([*rows, *rows], "k long, at long"), ["k"], "at", "places")
+    table = spark.createDataFrame([(1,), (2,), (5,)], "k long").join(lists, "k", "left").orderBy("k").toArrow().combine_chunks()
+    column = table.column("places").combine_chunks() if hasattr(table.column("places"), "combine_chunks") else table.column("places")
+    row, at = shared.listed_places(column)
+    assert sorted(zip(row.tolist(), at.tolist())) == [({1: 0, 5: 2}[k], p) for k, p in rows]
+    assert row.tolist() == sorted(row.tolist())
+    row, at = shared.listed_places(column.slice(1))
+    assert sorted(zip(row.tolist(), at.tolist())) == [(1, p) for k, p in rows if k == 5]
