@@ -291,6 +291,17 @@ def test_texts_of_many_common_lines(spark):
     assert got == sorted([*short, short[3], (11, "", 1, 0), (12, "\n\n", 3, 0)])
 
 
+def test_texts_of_many_repeated_spans(spark):
+    """Places of a text's repeats are kept as bits; the first text stays, its copies and repeats go."""
+    r = random.Random(32)
+    long = " ".join(f"word{r.randint(0, 10**6)}" + ("." if k % 11 == 10 else "") for k in range(44_000))
+    docs = spark.createDataFrame([(1, " " + long), (2, long + " Other end."), (3, "\n" + long), (4, None)], "doc_id long, text string")
+    out = spans.remove_repeats(docs)
+    assert "collect_set" not in out._jdf.queryExecution().toString()  # no set of places
+    got = {x["doc_id"]: (x["text"], x["n_sentences"], x["n_removed"]) for x in out.collect()}
+    assert got == {1: (" " + long, 4000, 0), 2: ("Other end.", 4001, 4000), 3: ("\n", 4000, 4000), 4: ("", 0, 0)}
+
+
 def test_lists_of_places(spark):
     rows = [(k, p) for k in (1, 5) for p in (0, 63, 64, 65, 127, 128, 1_000_000 + k)]
     lists = shared.bit_lists(spark.createDataFrame([*rows, *rows], "k long, at long"), ["k"], "at", "places")
