@@ -312,3 +312,13 @@ def test_lists_of_places(spark):
     assert row.tolist() == sorted(row.tolist())
     row, at = shared.listed_places(column.slice(1))
     assert sorted(zip(row.tolist(), at.tolist())) == [(1, p) for k, p in rows if k == 5]
+
+
+def test_license_paragraphs_without_a_cue(spark):
+    """Pieces without a cue word are classified too, and returned if they are confirmed."""
+    parts = ["use this file except in compliance with the", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute", "Unless required by applicable law or agreed to in writing, software distributed under"]
+    assert not any(re.search(licenses.CUE, p) for p in parts)
+    prose = "We walked along the shore for hours and came home late in the evening."
+    rows = [*((k, f"{prose}\n{p}") for k, p in enumerate(parts)), (3, prose)]
+    got = sorted((x["doc_id"], x["place"], x["family"], x["confirmed"]) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 1, "Apache-2.0", True), (1, 1, "MIT", True), (2, 1, "Apache-2.0", True)]
