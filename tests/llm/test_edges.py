@@ -322,3 +322,37 @@ def test_license_paragraphs_without_a_cue(spark):
     rows = [*((k, f"{prose}\n{p}") for k, p in enumerate(parts)), (3, prose)]
     got = sorted((x["doc_id"], x["place"], x["family"], x["confirmed"]) for x in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, 1, "Apache-2.0", True), (1, 1, "MIT", True), (2, 1, "Apache-2.0", True)]
+
+
+def test_sets_of_long_texts_are_kept_in_parts(spark, monkeypatch):
+    """No row has the whole set of a text of 30,000 words, and links at parts' edges stay exact: near
+    copies on either side of the threshold, of a number of parts of their own, and a repeated row."""
+    r = random.Random(33)
+    made = {}
+    monkeypatch.setattr(neardup, "written", lambda df, name: made.setdefault(name, []).append(shared.written(df, name)) or made[name][-1])
+    words = [f"{r.choice(WORDS)}{k}" for k in range(30_000)]
+    texts = [" ".join(words), " ".join(words[:24_500]), " ".join(words[:23_500]), " ".join(words[:4100]), " ".join(words[:4090]), "one two", "two one", None]
+    rows = [*enumerate(texts), (1, texts[1]), (8, texts[0] + "\n")]
+    got = sorted((x["doc_id"], x["class_id"]) for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # 30,000, 24,500 and 23,500 words by two links; 4,100 and 4,090; the short ones alone
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5), (6, 6), (7, 7), (8, 0)]
+    (sets,) = made["neardup-sets"]
+    sizes = sets.select(F.size("items")).toPandas().iloc[:, 0]
+    assert sizes.max() <= 1.2 * (1 << neardup.PART) and sizes.sum() > 80_000
+    assert sets.groupBy("node", "part").count().filter("count > 1").isEmpty()
+
+
+def test_long_texts_are_described_in_slices(monkeypatch):
+    """The same signatures, sketches and sets whether a text is worked on whole or in slices."""
+    r = random.Random(34)
+    words = [f"{r.choice(WORDS)}{r.randint(0, 300)}é" for _ in range(9000)]
+    texts = [" ".join(words), "\n\n".join(words[:5000] * 2) + "\n", "a b", "x" * 50_000, "x" * 50_000 + " y z u v w" + " " * 50_000 + "q"]
+    whole = [neardup.describe(b) for t in texts for b in textvec.blocks(pa.array([t]), 1 << 30)]
+    called = []
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(neardup, "ITEMS", 700)
+    monkeypatch.setattr(neardup, "_long_runs", lambda b, f=neardup._long_runs: called.append(1) or f(b))
+    sliced = [neardup.describe(b) for t in texts for b in textvec.blocks(pa.array([t]), 1 << 30)]
+    assert len(called) == 4
+    for x, y in zip(whole, sliced, strict=True):
+        assert all((p == q).all() for p, q in zip(x, y, strict=True))
