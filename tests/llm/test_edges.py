@@ -356,3 +356,10 @@ def test_long_texts_are_described_in_slices(monkeypatch):
     assert len(called) == 4
     for x, y in zip(whole, sliced, strict=True):
         assert all((p == q).all() for p, q in zip(x, y, strict=True))
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """40 texts of 1 MB don't go to Python in one batch."""
+    docs = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("words of a "), 95_000).alias("text"))
+    sizes = [x["n"] for x in shared.over_texts(docs, ["id"], "text", "n long", lambda texts: [pa.array([len(texts)] * len(texts))]).collect()]
+    assert len(sizes) == 40 and max(sizes) <= shared.SENT_BYTES // 1_000_000 + 1
