@@ -7,7 +7,8 @@ would leave just these two. Following the stored tokens back from the end gives
 One pass, linear in the word's length, whatever the merges do.
 
 Null texts count as empty and have no ids; texts without tokens decode to the empty string; long
-words need memory in proportion to their length only. There are no ties: a prefix has one last token.
+texts are worked on in slices that end at white space, and long words need memory in proportion to
+their length only. Results are sent on as soon as there are SEND_BYTES of them. There are no ties: a prefix has one last token.
 Repeated rows have equal ids. An empty table gives an empty result. Other columns are not looked at,
 whatever they are called.
 """
@@ -18,6 +19,7 @@ import hashlib
 import json
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,11 @@ from lamina.llm.shared import give_back, named, ship
 
 #: Words and pieces kept with their ids by each worker, and the longest kept.
 CACHE_WORDS, CACHE_PIECES, CACHE_BYTES = 100_000, 100_000, 64
+#: Characters (or ids) of a text that are worked on, and bytes of results that are sent, at a time.
+SLICE, SEND_BYTES = 1 << 16, 1 << 20
 
 _WORD = re.compile(r"[^\x20\x09-\x0d]+")
+_BLANK = re.compile(r"[\x20\x09-\x0d]")
 #: What str.split() takes for white space, unlike the tokenizers' patterns.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 #: Runs of printable ASCII and Latin-1 letters, which composition leaves alone and lower case maps
@@ -66,7 +71,8 @@ class PrefixEncoder:
         off = {k: model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")}
         if model["type"] != "BPE" or any(off.values()) or parts.get("decoder") or any(x.get(k) for x in parts["added_tokens"] for k in ("normalized", "single_word", "lstrip", "rstrip")):
             raise ValueError(f"this kind of tokenizer is not handled: {off}")
-        self._library = Tokenizer.from_str(spec)  # for its normalizer and its word pattern only
+        # for its normalizer and its word pattern only, so without vocabulary
+        self._library = Tokenizer.from_str(json.dumps(parts | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self._suffix = model.get("end_of_word_suffix") or ""
         steps = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self._usual = (parts.get("normalizer") or {}).get("normalizers") == _USUAL and steps[0].get("pattern") == {"Regex": _USUAL_PATTERN} and [x["type"] for x in steps] == ["Split", "ByteLevel"]
@@ -201,11 +207,21 @@ class PrefixEncoder:
     def encode(self, text: str) -> bytes:
         """All ids of a text as little-endian 32-bit numbers. No rule of the tokenizer looks
         across white space, so each run between white space is encoded once and remembered."""
-        return b"".join(map(self._words.__getitem__, _WORD.findall(text) if _SEPARATORS.search(text) else text.split()))
+        ask = self._words.__getitem__
+        return b"".join([b"".join(map(ask, _WORD.findall(part) if _SEPARATORS.search(part) else part.split())) for part in slices(text)])
 
     def decode(self, ids: bytes) -> str:
         names = self.names
-        return " ".join([names[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join([" ".join([names[i] for i in np.frombuffer(ids[k : k + 4 * SLICE], "<u4").tolist()]) for k in range(0, len(ids), 4 * SLICE)])
+
+
+def slices(text: str) -> Iterator[str]:
+    """The text in parts of SLICE characters or more, each but the last up to a blank."""
+    begin = 0
+    while len(text) - begin > SLICE and (found := _BLANK.search(text, begin + SLICE)):
+        yield text[begin : found.start()]
+        begin = found.start()
+    yield text[begin:] if begin else text
 
 
 _ENCODERS: dict[int, PrefixEncoder] = {}
@@ -216,6 +232,7 @@ def encoder_of(spec: str) -> PrefixEncoder:
     key = hash(spec)
     if key not in _ENCODERS:
         _ENCODERS[key] = PrefixEncoder(spec)
+        give_back()  # what the file's parts took
     return _ENCODERS[key]
 
 
@@ -230,18 +247,29 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", t
     with open(vocabulary, encoding="utf-8") as f:
         spec = f.read()
 
+    def results(who: pa.Array, all_ids: list[bytes], texts: list[str]) -> pa.RecordBatch:
+        n = np.array([len(x) // 4 for x in all_ids], np.int64)
+        if digests:
+            made = [pa.array([hashlib.sha256(x).hexdigest() for x in all_ids]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts])]
+        else:
+            edge = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            flat = pa.Array.from_buffers(pa.int32(), int(n.sum()), [None, pa.py_buffer(b"".join(all_ids))])
+            made = [pa.ListArray.from_arrays(edge, flat), pa.array(texts, pa.string())]
+        return pa.RecordBatch.from_arrays([who, pa.array(n), *made], names=names)
+
     def run(batches):
         coder = encoder_of(spec)
         for batch in batches:
-            n, first, second = [], [], []
-            for text in batch.column(1):
+            begin, all_ids, texts, size = 0, [], [], 0
+            for i, text in enumerate(batch.column(1)):
                 ids = coder.encode(text.as_py() or "")
                 decoded = coder.decode(ids)
-                n.append(len(ids) // 4)
-                first.append(hashlib.sha256(ids).hexdigest() if digests else np.frombuffer(ids, "<u4").astype(np.int32))
-                second.append(hashlib.sha256(decoded.encode()).hexdigest() if digests else decoded)
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(first, kind), pa.array(second, pa.string())], names=names)
+                size += len(ids) + len(decoded)
+                all_ids.append(ids)
+                texts.append(decoded)
+                if size >= SEND_BYTES or i + 1 == batch.num_rows:
+                    yield results(batch.column(0).slice(begin, len(texts)), all_ids, texts)
+                    begin, all_ids, texts, size = i + 1, [], [], 0
         give_back()
 
     names = [id_column, "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]

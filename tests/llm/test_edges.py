@@ -363,3 +363,26 @@ def test_batches_of_long_texts_are_bounded(spark):
     docs = spark.range(0, 40, 1, 1).select("id", F.repeat(F.lit("words of a "), 95_000).alias("text"))
     sizes = [x["n"] for x in shared.over_texts(docs, ["id"], "text", "n long", lambda texts: [pa.array([len(texts)] * len(texts))]).collect()]
     assert len(sizes) == 40 and max(sizes) <= shared.SENT_BYTES // 1_000_000 + 1
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_texts_are_encoded_in_slices(monkeypatch, size):
+    spec = open(tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
+    whole, cut = prefix_bpe.PrefixEncoder(spec), prefix_bpe.PrefixEncoder(spec)
+    r = random.Random(33)
+    texts = ["", " ", "x" * 300, "a\x1cb　c </w>́ <|endoftext|> d", *("".join(r.choice("abé́ \n\t\x1c1's") for _ in range(400)) for _ in range(50))]
+    ids = [whole.encode(t) for t in texts]
+    decoded = [whole.decode(x) for x in ids]
+    monkeypatch.setattr(prefix_bpe, "SLICE", size)
+    assert all("".join(prefix_bpe.slices(t)) == t for t in texts)
+    assert [cut.encode(t) for t in texts] == ids and [cut.decode(x) for x in ids] == decoded
+
+
+def test_stages_begin_with_a_collected_heap(spark, tmp_path):
+    sf = _write(spark, tmp_path / "h", spark.createDataFrame([(1, "some words", "en", "s", 10)], SCHEMA), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int"))
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for name, stage in pipeline.STAGES[1:]:
+        before = whole()
+        stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+        assert whole() > before, name
